@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from . import common as c
 from .licenses import scan_licenses
 from .secrets import scan_secrets
+from .simhash import near_duplicates
+from .warc import read_warc, resolve_revisits, write_warc
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = c.table(spark, sf_dir, "pages")
+    path = c.scratch_path(spark, "warc")
+    write_warc(resolve_revisits(pages.select(F.col("page_id").alias("id"), "url", F.col("html").alias("payload"))), path)
+    back = read_warc(spark, path)
+    return back.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,15 +28,33 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(c.table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(c.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op1_warc_revisits": op1_warc_revisits,
         "op4_secret_scans": op4_secret_scans,
         "op8_license_scans": op8_license_scans,
+        "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
-
-
-_ = F
+    return {"op1_warc_revisits": OP1_SQL}
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
+b AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 8), i -> list_reduce(list_transform([15, 10, 5, 0],
+    s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, CAST(1 + 5 * i AS INTEGER), 5) AS BIGINT) >> s) & 31 AS INTEGER), 1)), (a, c) -> a || c)), '') AS payload_digest
+  FROM d),
+f AS (SELECT payload_digest, payload_bytes, min(page_id) AS first_id FROM b GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM b JOIN f USING (payload_digest, payload_bytes)
+"""
