@@ -49,8 +49,8 @@ OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
 b AS (
-  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 8), i -> list_reduce(list_transform([15, 10, 5, 0],
-    s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, CAST(1 + 5 * i AS INTEGER), 5) AS BIGINT) >> s) & 31 AS INTEGER), 1)), (a, c) -> a || c)), '') AS payload_digest
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 8), lambda i: list_reduce(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, CAST(1 + 5 * i AS INTEGER), 5) AS BIGINT) >> s) & 31 AS INTEGER), 1)), lambda a, c: a || c)), '') AS payload_digest
   FROM d),
 f AS (SELECT payload_digest, payload_bytes, min(page_id) AS first_id FROM b GROUP BY ALL)
 SELECT page_id, payload_bytes, payload_digest,
