@@ -9,6 +9,7 @@ from . import common as c
 from .licenses import scan_licenses
 from .secrets import scan_secrets
 from .simhash import near_duplicates
+from .toxicity import score_toxicity
 from .warc import read_warc, resolve_revisits, write_warc
 
 
@@ -24,6 +25,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(c.table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(c.table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def queries() -> dict:
     return {
         "op1_warc_revisits": op1_warc_revisits,
         "op4_secret_scans": op4_secret_scans,
+        "op6_toxicity": op6_toxicity,
         "op8_license_scans": op8_license_scans,
         "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
     }
