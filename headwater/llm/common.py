@@ -72,6 +72,11 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made_table(spark: SparkSession, name: str) -> None:
+    """A scratch table of the warehouse, deleted with the scratch paths."""
+    _made.append((spark, f"table:{name}"))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -86,7 +91,10 @@ def release_scratch(spark: SparkSession, since: int = 0, until: int | None = Non
     """Delete scratch tables made between two marks. Only when no DataFrame that reads them is used any more."""
     for owner, path in _made[since:until]:
         if path and owner is spark:
-            delete_path(spark, path)
+            if path.startswith("table:"):
+                spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
+            else:
+                delete_path(spark, path)
     for i in range(since, len(_made) if until is None else until):
         _made[i] = (_made[i][0], "")
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
+from .bpe import encode_bpe
 from .licenses import scan_licenses
 from .secrets import scan_secrets
 from .simhash import near_duplicates
+from .token_counts import count_tokens
 from .toxicity import score_toxicity
 from .warc import read_warc, resolve_revisits, write_warc
 
@@ -25,10 +27,18 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(c.table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(c.table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_bpe(c.table(spark, sf_dir, "documents"), output="digests")
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(c.table(spark, sf_dir, "documents"))
 
@@ -41,7 +51,9 @@ def queries() -> dict:
     return {
         "op1_warc_revisits": op1_warc_revisits,
         "op4_secret_scans": op4_secret_scans,
+        "op5_token_counts": op5_token_counts,
         "op6_toxicity": op6_toxicity,
+        "op7_byte_bpe": op7_byte_bpe,
         "op8_license_scans": op8_license_scans,
         "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
     }
