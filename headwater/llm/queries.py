@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 from .bpe import encode_bpe
+from .decontaminate import decontaminate
 from .licenses import scan_licenses
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -23,6 +24,10 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(c.table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_warc_revisits": op1_warc_revisits,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_secret_scans": op4_secret_scans,
         "op5_token_counts": op5_token_counts,
         "op6_toxicity": op6_toxicity,
