@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import common as c
 from .bpe import encode_bpe
 from .decontaminate import decontaminate
+from .idstore import read_digests, write_store
 from .licenses import scan_licenses
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -52,6 +53,12 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(c.table(spark, sf_dir, "documents"))
 
 
+def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = c.scratch_path(spark, "store")
+    write_store(c.table(spark, sf_dir, "documents"), path)
+    return read_digests(spark, path)
+
+
 def queries() -> dict:
     return {
         "op1_warc_revisits": op1_warc_revisits,
@@ -62,6 +69,7 @@ def queries() -> dict:
         "op7_byte_bpe": op7_byte_bpe,
         "op8_license_scans": op8_license_scans,
         "op9_simhash_near_duplicates": op9_simhash_near_duplicates,
+        "op10_id_store": op10_id_store,
     }
 
 
