@@ -13,6 +13,7 @@ from .licenses import scan_licenses
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .token_counts import count_tokens
+from .topk import top_k
 from .toxicity import score_toxicity
 from .warc import read_warc, resolve_revisits, write_warc
 
@@ -25,6 +26,10 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(c.table(spark, sf_dir, "embeddings"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +67,7 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_warc_revisits": op1_warc_revisits,
+        "op2_exact_top_k": op2_exact_top_k,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_secret_scans": op4_secret_scans,
         "op5_token_counts": op5_token_counts,
@@ -74,8 +80,19 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": OP1_SQL}
-
+    return {"op1_warc_revisits": OP1_SQL, "op2_exact_top_k": OP2_SQL}
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
 
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
