@@ -134,6 +134,22 @@ def word_array(text: Column) -> Column:
     return F.regexp_extract_all(lowered(text), F.lit(f"({WORD_PATTERN})"), F.lit(1))
 
 
+def with_key(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """(df, the name of a column that tells its rows apart): the id itself if it is a whole number, unique and never null; else numbers given once and written."""
+    whole = df.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    if whole and df.groupBy(id_col).count().filter(F.col("count").__gt__(1) | F.col(id_col).isNull()).isEmpty():
+        return df, id_col
+    name = "row_key"
+    while name in df.columns:
+        name += "_"
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
+
+
+def without(df: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not among the rejected; df moves only if the rejected keys are too many to broadcast."""
+    return df.join(broadcast_if_small(rejected, 16), key, "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -31,12 +31,9 @@ def small(word: Column) -> Column:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, text) with a key for each row: the id itself if it is a whole number and unique, else numbers given once and written."""
-    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    whole = own.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    if whole and own.groupBy("id").count().filter("count > 1 or id is null").isEmpty():
-        return own.select(F.col("id").cast("long").alias("key"), "id", "text")
-    return c.written(own.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed")
+    """(key, id, text) with a key for each row."""
+    own, key = c.with_key(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "id")
+    return own.select(F.col(key).cast("long").alias("key"), "id", "text")
 
 
 def item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:

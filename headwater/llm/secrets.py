@@ -117,3 +117,27 @@ def merged(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
         else:
             out.append([s, e])
     return [(s, e) for s, e in out]
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None, max_ratio: float = 2.2, vocabulary: str | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts have a mark in place of each secret; length_col, if named, is the new text's length. Null texts stay null. Nothing moves."""
+    path = c.tokenizer_file("byte_bpe_50k.tiktoken", vocabulary)
+    at = docs.columns.index(text_col)
+    also = docs.columns.index(length_col) if length_col else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = c.kept(("tiktoken", path), lambda: c.tiktoken_encoding(path))
+        for b in batches:
+            texts, sizes = b.column(at).to_pylist(), b.column(also).to_pylist() if also is not None else []
+            for i, text in enumerate(texts):
+                if text:
+                    base = base_spans(text)
+                    if every := base + random_spans(text, enc.encode_ordinary, max_ratio, base):
+                        texts[i] = redacted(text, every)
+                        if also is not None:
+                            sizes[i] = len(texts[i])
+            b = b.set_column(at, b.schema.field(at), pa.array(texts, b.column(at).type))
+            yield b.set_column(also, b.schema.field(also), pa.array(sizes, b.column(also).type)) if also is not None else b
+
+    c.tune(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

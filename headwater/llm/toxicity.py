@@ -228,41 +228,58 @@ def train_linear(x: np.ndarray, q: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: id, held_out, score, predicted.
-
-    Null texts count as empty and score low like them; a null id counts as fold 1. Without usable labels only the fixed
-    lexicon votes. Repeated rows give repeated results; other columns are not read; an empty table gives no rows. All vote
-    patterns are counted over all documents; mining and the classifier see at most sample_rows labelled rows.
-    """
-    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+def fit(own: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample_rows: int) -> tuple[dict, np.ndarray, DataFrame]:
+    """(mined features, coefficients, the table of what voters and classifier saw). own: (id, text)."""
     sample = sample_labels(labels, id_col, label_col, sample_rows)
     odds = mine(own, sample)
     seen = c.written(featured(own, odds), "toxicity")
     patterns = {r[0]: r[1] for r in seen.groupBy("code").count().collect()}  # at most 3 to the power of VOTERS rows
+    train = None
     if sample:
-        spark = docs.sparkSession
-        ids = spark.createDataFrame(list(sample.items()), f"id {docs.schema[id_col].dataType.simpleString()}, y int")
+        ids = own.sparkSession.createDataFrame(list(sample.items()), f"id {own.schema['id'].dataType.simpleString()}, y int")
         train = seen.join(F.broadcast(ids), "id").groupBy("id").agg(F.max("code").alias("code"), F.max("x").alias("x"), F.max("y").alias("y")).toPandas()  # at most SAMPLE_ROWS rows
-    else:
-        train = None
     codes = np.array(sorted(patterns), dtype=np.int64)
+    if not len(codes):
+        return odds, np.zeros(N_VALUES + 1), seen
     counts = np.array([patterns[k] for k in codes.tolist()], dtype=float)
     known = np.zeros((len(codes), 2))
     if train is not None and len(train):
-        at = np.searchsorted(codes, train.code.to_numpy())
-        np.add.at(known, (at, train.y.to_numpy()), 1)
-        x, code = np.array(train.x.tolist()), train.code.to_numpy(dtype=np.int64)
-        size = np.ones(len(x))
-    else:
-        rows = seen.groupBy("code").agg(F.max("x").alias("x")).toPandas()
-        x, code = np.array(rows.x.tolist()).reshape(-1, N_VALUES), rows.code.to_numpy(dtype=np.int64)
-        size = np.array([patterns[k] for k in code.tolist()], dtype=float)
-    if len(codes):
-        model = label_model(codes, counts, known)
-        w = train_linear(x, posterior(votes_of(code), model), size)
-    else:
-        w = np.zeros(N_VALUES + 1)
+        np.add.at(known, (np.searchsorted(codes, train.code.to_numpy()), train.y.to_numpy()), 1)
+        size = np.ones(len(train))
+    else:  # one row for each pattern stands for all of them
+        train = seen.groupBy("code").agg(F.max("x").alias("x")).toPandas()
+        size = np.array([patterns[k] for k in train.code.tolist()], dtype=float)
+    x, code = np.array(train.x.tolist()), train.code.to_numpy(dtype=np.int64)
+    return odds, train_linear(x, posterior(votes_of(code), label_model(codes, counts, known)), size), seen
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """One row per input row: id, held_out, score, predicted.
+
+    Null texts count as empty and score low like them; a null id counts as fold 1. Without usable labels only the fixed
+    lexicon votes. Repeated rows give repeated results; other columns are not read; an empty table gives no rows. All vote
+    patterns are counted over all documents; mining and the classifier see at most sample_rows labelled rows.
+    """
+    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    _, w, seen = fit(own, labels, id_col, label_col, sample_rows)
     linear = sum((F.lit(float(v)) * F.col("x")[i] for i, v in enumerate(w[:-1])), F.lit(float(w[-1])))
     score = 1 / (1 + F.exp(-linear))
     return seen.select(F.col("id").alias(id_col), (fold(F.col("id")) == HELD_OUT).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, that score below a half. Rows are filtered where they are read; none moves."""
+    odds, w, _ = fit(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), labels, id_col, label_col, sample_rows)
+    hand = frozenset(x.encode() for x in LEXICON)
+    words = {f: v for f, v in odds.items() if not f.endswith(b"*")}
+    prefixes = {f: v for f, v in odds.items() if f.endswith(b"*")}
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for b in batches:
+            keep = [bool(np.dot(values_of(t, hand, words, prefixes, cache)[0], w[:-1]) + w[-1] < 0) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    c.tune(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
