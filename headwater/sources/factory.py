@@ -55,7 +55,7 @@ class Emissions:
 
 def extract(files: DataFrame) -> Graph:
     """Emissions of factory files (see sources.files). Text that is no JSON gives nothing."""
-    docs = files.filter("kind = 'factory'").withColumn("doc", F.from_json(F.regexp_replace("content", r'"dataFlow"\s*:', '"dataflow":'), DOC)).filter("doc is not null and content rlike '^\\\\s*\\\\{'")
+    docs = files.filter("kind = 'factory'").withColumn("doc", F.from_json(F.regexp_replace("content", r'"dataFlow"\s*:', '"dataflow":'), DOC)).filter("get_json_object(content, '$') is not null and doc is not null")
     stem = F.regexp_replace(F.element_at("path", -1), r"\.[^.]*$", "")
     body = lambda x: F.coalesce(F.col("doc.properties")[x], F.col("doc")[x])
     docs = docs.withColumns({"name": F.coalesce(F.nullif("doc.name", F.lit("")), stem), "file": file_id(F.col("source_repo"), F.col("rel_path")), "activities": body("activities"), "props": body("typeProperties"), "at": F.lit(0)})
