@@ -28,8 +28,11 @@ from pyspark.sql.window import Window
 from . import common as c
 
 #: Chunk lengths in ids: least, mean beyond the least, most. The rolling hash sees so many ids.
-LEAST, MEAN, MOST, ROLL = 128, 512, 4096, 16
-CACHE = 300_000
+LEAST, MEAN, MOST, ROLL = 128, 512, 4096, 8
+#: Pieces and words that an encoder remembers, at most.
+CACHE = 500_000
+#: Marks that may stand behind a word; together they are one match of the pattern. No apostrophe: it may begin one.
+TAIL = '.,;:!?*%&$#|"()'
 #: What the vocabulary file says of its normalizer and splitting pattern, for which `quick` below holds.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -37,12 +40,12 @@ PLAIN = re.compile("[!-~¡-ſ]+")
 
 
 def gears() -> np.ndarray:
-    """A 64-bit number for each of 65536 ids, by splitmix64."""
+    """A 32-bit number for each of 65536 ids, by splitmix64."""
     with np.errstate(over="ignore"):
         z = np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+        return ((z ^ (z >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -54,8 +57,8 @@ def cuts(ids: np.ndarray) -> list[int]:
     h = g.copy()
     with np.errstate(over="ignore"):
         for j in range(1, ROLL):
-            h[j:] += g[:-j] << np.uint64(j)
-    marks = (np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1).tolist()
+            h[j:] += g[:-j] << np.uint32(j)
+    marks = (np.flatnonzero((h >> np.uint32(16)) % np.uint32(MEAN) == 0) + 1).tolist()
     out, last = [], 0
     for m in [*marks, n]:
         while m - last > MOST:
@@ -99,14 +102,14 @@ class Encoder:
         other = iter(range(256, 512))
         self.shown = [chr(b) if b in plain else chr(next(other)) for b in range(256)]
         self.model = self.tokenizer.model
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         encoder = self
 
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
                 if len(self) >= CACHE:
                     self.clear()
-                out = self[piece] = encoder.raw(encoder.ids(piece))
+                out = self[piece] = encoder.ids(piece)
                 return out
 
         self.pieces = Pieces()
@@ -114,21 +117,26 @@ class Encoder:
     def raw(self, ids: list[int]) -> bytes:
         return array.array("H" if self.width == 2 else "I", ids).tobytes()
 
-    def ids(self, piece: str) -> list[int]:
+    def word(self, w: str) -> bytes:
+        """Ids of one match of the splitting pattern, in small letters."""
+        found = self.words.get(w)
+        if found is None:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            seen = w if w.isascii() else "".join([self.shown[b] for b in w.encode()])
+            found = self.words[w] = self.raw([t.id for t in self.model.tokenize(seen)])
+        return found
+
+    def ids(self, piece: str) -> bytes:
         if not piece:
-            return []
-        if not PLAIN.fullmatch(piece) or any(s in piece for s in self.specials):
-            return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        out: list[int] = []
-        for w in self.findall(piece.lower()):
-            found = self.words.get(w)
-            if found is None:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                seen = w if w.isascii() else "".join([self.shown[b] for b in w.encode()])
-                found = self.words[w] = [t.id for t in self.model.tokenize(seen)]
-            out += found
-        return out
+            return b""
+        if "<" not in piece or not any(s in piece for s in self.specials):
+            core = piece.rstrip(TAIL)
+            if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core)) and len(low := core.lower()) == len(core):
+                return self.word(low) if len(core) == len(piece) else self.word(low) + self.word(piece[len(core) :])
+            if PLAIN.fullmatch(piece):
+                return b"".join([self.word(w) for w in self.findall(piece.lower())])
+        return self.raw(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian ids of self.width bytes."""
