@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 #: Pre-tokens of a block, about: a block ends with the document that reaches it.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 6_000_000
 #: Entries of one packed answer.
 PACK = 400_000
 #: A space before another white space: cutting there could change a match of white space.
