@@ -231,7 +231,7 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chunks_of(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/data").filter("kind = 'chunk'").select("key", "data")
+    return spark.read.schema("key binary, data binary, kind string").parquet(f"{path}/data").filter("kind = 'chunk'").select("key", "data")
 
 
 def checked(key: bytes, data: bytes) -> bytes:
