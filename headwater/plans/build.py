@@ -77,8 +77,7 @@ def assemble(emitted: Graph, names: dict[int, str] | None = None) -> Graph:
     for i, name in (names or {}).items():
         here = (F.col("seq.repo_idx") == i) & (F.coalesce("source_repo", F.lit("")) == "")
         nodes = nodes.withColumn("source_repo", F.when(here, name).otherwise(F.col("source_repo")))
-    graph = merge(Graph(nodes, emitted.edges))
-    graph = prune(Graph(settle(graph.nodes), settle(graph.edges)))
+    graph = prune(merge(Graph(nodes, emitted.edges)))
     graph = merge_notebooks(normalize_writes(graph))
     graph = infer_copy_sinks(infer_copy_sources(Graph(settle(graph.nodes), settle(graph.edges))))
     return Graph(settle(graph.nodes), settle(graph.edges))
@@ -87,8 +86,7 @@ def assemble(emitted: Graph, names: dict[int, str] | None = None) -> Graph:
 def analyze_directory(spark: SparkSession, path: str, source_repo: str = "", recursive: bool = True) -> Graph:
     """One folder: extracted, merged and pruned only."""
     emitted = emissions(files.scan(spark, path, source_repo, 0, recursive))
-    graph = merge(emitted)
-    return prune(Graph(settle(graph.nodes), settle(graph.edges)))
+    return prune(merge(emitted))
 
 
 def write_json(graph: Graph, path: str) -> None:

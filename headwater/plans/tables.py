@@ -14,8 +14,8 @@ from ..operators import diff as D
 from ..operators import merge as M
 from ..operators import rewrite as R
 from ..operators import traverse as T
+from ..sources import factory, interpreter, sqltext
 from ..sources import files as S
-from ..sources import interpreter
 from .review import MOST_EDGES, first_rows
 
 NODES_SQL = """
@@ -76,6 +76,7 @@ def said(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     import re
 
     used = [t for t in known if re.search(rf"\bFROM {t}\b|\bJOIN {t}\b", sql)]
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **views(spark, sf_dir, *used))
@@ -300,6 +301,33 @@ def flow_direction(spark, sf_dir):
     return rows.select("event_id", F.when(w, F.col("s")).otherwise(F.col("t")).alias("source_id"), F.when(w, F.col("t")).otherwise(F.col("s")).alias("target_id"), F.when(w, "WRITES_TO").otherwise("READS_FROM").alias("edge_type"))
 
 
+#: Source files made from rows: (rel_path, content), and for the third a response.
+SQL_FILES = """SELECT 'sql/c' || CAST(c_custkey AS STRING) || '.sql' AS rel_path, 'CREATE TABLE dw.Raw_' || CAST(c_custkey AS STRING) || ' (id INT, "Amount" DECIMAL(18, 2), PRIMARY KEY (id)); -- note
+  CREATE VIEW ' || lower(c_mktsegment) || '_' || CAST(c_custkey AS STRING) || ' AS SELECT r.id, r.amount  *  2 AS twice, COUNT(*) AS n FROM raw_' || CAST(c_custkey AS STRING) || ' r JOIN nation_' || CAST(c_nationkey AS STRING) || ' AS x ON x.id = r.id' AS content FROM customer"""
+FACTORY_FILES = """SELECT 'adf/pipeline/p' || CAST(s_suppkey AS STRING) || '.json' AS rel_path, '{"name": "P' || CAST(s_suppkey AS STRING) || '", "properties": {"activities": [{"name": "cp", "type": "Copy", "inputs": [{"referenceName": "In'
+  || CAST(s_suppkey AS STRING) || '"}], "outputs": [{"referenceName": "Out' || CAST(s_nationkey AS STRING) || '"}]}, {"name": "sp", "type": "SqlServerStoredProcedure", "typeProperties": {"storedProcedureName": "dbo.Refresh' || CAST(s_suppkey AS STRING) || '"}}]}}' AS content FROM supplier"""
+CODE_FILES = """SELECT 'py/p' || CAST(p_partkey AS STRING) || '.py' AS rel_path, p_name AS content, '{"tables": [{"name": "T' || CAST(p_partkey AS STRING) || '", "type": "TABLE"}], "columns": [{"target_table": "t' || CAST(p_partkey AS STRING)
+  || '", "target_column": "A", "source_table": "' || p_brand || '", "source_column": "b", "transformation": "sum"}], "data_flows": [{"source": "' || p_brand || '", "target": "t' || CAST(p_partkey AS STRING) || '", "operation": "df.to_sql"}]}' AS response FROM part"""
+
+
+def made_files(spark, sf_dir, sql: str) -> DataFrame:
+    return S.classified(said(spark, sf_dir, sql).select(F.lit(0).alias("repo_idx"), F.lit("r").alias("source_repo"), "rel_path", "content"))
+
+
+def sql_column_lineage(spark, sf_dir):
+    return sqltext.extract(made_files(spark, sf_dir, SQL_FILES)).edges.select(*EDGE_COLS)
+
+
+def factory_lineage(spark, sf_dir):
+    return factory.extract(made_files(spark, sf_dir, FACTORY_FILES)).edges.select(*EDGE_COLS)
+
+
+def interpreted_lineage(spark, sf_dir):
+    found = said(spark, sf_dir, CODE_FILES)
+    told = found.select(F.lit("r").alias("source_repo"), "rel_path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), "response")
+    return interpreter.extract(made_files(spark, sf_dir, CODE_FILES), told).edges.select(*EDGE_COLS)
+
+
 #: The sample workload's kinds of statement, on the test tables; plain SQL that both engines run.
 WORKLOAD = {
     "exposure_cumulative": """SELECT o.o_custkey, o.o_orderkey, CAST(CAST(o.o_orderdate AS DATE) AS STRING) AS day, c.c_name || ' (' || n.n_name || ')' AS label,
@@ -326,7 +354,7 @@ def workload(sql: str):
 
 
 def queries() -> dict:
-    own = (classify_files, content_hash_cache, fallback_gate, merge_nodes, merge_edges, prune_round1, prune_fixpoint, normalize_writes, notebook_remap, copy_source_columns, copy_sink_columns, link_procedures, insert_columns, flow_direction, upstream_depth, downstream_depth, bfs_edges, impact_summary, impact_ids, search_nodes, summary_by_type, edge_listing, diff_nodes, diff_edges, diff_counts, impacted_nodes, report_rows)
+    own = (classify_files, content_hash_cache, fallback_gate, merge_nodes, merge_edges, prune_round1, prune_fixpoint, normalize_writes, notebook_remap, copy_source_columns, copy_sink_columns, link_procedures, insert_columns, flow_direction, sql_column_lineage, factory_lineage, interpreted_lineage, upstream_depth, downstream_depth, bfs_edges, impact_summary, impact_ids, search_nodes, summary_by_type, edge_listing, diff_nodes, diff_edges, diff_counts, impacted_nodes, report_rows)
     return {f.__name__: f for f in own} | {k: workload(v) for k, v in WORKLOAD.items()}
 
 
@@ -413,6 +441,14 @@ def oracle_sql() -> dict[str, str]:
           SELECT doc_id, ({GATE}) OR (lang <> 'es' AND length(trim(content)) > 100) AS needed FROM q""",
         "link_procedures": f"""WITH p AS ({PROC_SQL}) SELECT 'p' || CAST(doc_id AS STRING) AS proc, tbl AS target FROM p""",
         "insert_columns": f"""WITH p AS ({PROC_SQL}) SELECT doc_id, tbl || '.' || unnest(['doc_id', 'lang', 'n_chars']) AS col FROM p""",
+        "sql_column_lineage": """WITH c AS (SELECT 'raw_' || CAST(c_custkey AS STRING) AS t, lower(c_mktsegment) || '_' || CAST(c_custkey AS STRING) AS v, 'nation_' || CAST(c_nationkey AS STRING) AS x, 'r/sql/c' || CAST(c_custkey AS STRING) || '.sql' AS f FROM customer)
+          SELECT a[1] AS source_id, a[2] AS target_id, a[3] AS edge_type, a[4] AS transformation, CAST(1.0 AS DOUBLE) AS confidence FROM (SELECT unnest([[t, f, 'DEFINED_IN', ''], [t, t || '.id', 'HAS_COLUMN', ''], [t, t || '.amount', 'HAS_COLUMN', ''],
+          [v, f, 'DEFINED_IN', ''], [v, t, 'READS_FROM', ''], [v, x, 'READS_FROM', ''], [v, v || '.id', 'HAS_COLUMN', ''], [v || '.id', t || '.id', 'DERIVES_FROM', ''], [v, v || '.twice', 'HAS_COLUMN', ''], [v || '.twice', t || '.amount', 'DERIVES_FROM', 'r.amount * 2']]) AS a FROM c)""",
+        "factory_lineage": """WITH s AS (SELECT 'adf.pipeline.P' || CAST(s_suppkey AS STRING) AS p, 'adf.dataset.In' || CAST(s_suppkey AS STRING) AS i, 'adf.dataset.Out' || CAST(s_nationkey AS STRING) AS o, 'refresh' || CAST(s_suppkey AS STRING) AS r, 'r/adf/pipeline/p' || CAST(s_suppkey AS STRING) || '.json' AS f FROM supplier)
+          SELECT a[1] AS source_id, a[2] AS target_id, a[3] AS edge_type, a[4] AS transformation, CAST(1.0 AS DOUBLE) AS confidence FROM (SELECT unnest([[p, f, 'DEFINED_IN', ''], [p, i, 'READS_FROM', ''], [p, o, 'WRITES_TO', ''], [i, o, 'COPIES_TO', 'Copy(cp)'], [p, r, 'TRIGGERS', 'StoredProcedure(sp)']]) AS a FROM s)""",
+        "interpreted_lineage": """WITH p AS (SELECT 't' || CAST(p_partkey AS STRING) AS t, lower(p_brand) AS b, 'r/py/p' || CAST(p_partkey AS STRING) || '.py' AS f FROM part)
+          SELECT a[1] AS source_id, a[2] AS target_id, a[3] AS edge_type, a[4] AS transformation, CAST(CASE WHEN a[3] IN ('DERIVES_FROM', 'WRITES_TO') THEN 0.85 ELSE 1.0 END AS DOUBLE) AS confidence
+          FROM (SELECT unnest([[t, f, 'DEFINED_IN', ''], [t, t || '.a', 'HAS_COLUMN', ''], [b, b || '.b', 'HAS_COLUMN', ''], [t || '.a', b || '.b', 'DERIVES_FROM', 'sum'], [b, t, 'WRITES_TO', 'df.to_sql']]) AS a FROM p)""",
         "flow_direction": f"""WITH f AS ({FLOW_SQL}), g AS (SELECT *, regexp_matches(lower(op), 'to_sql|insert|saveastable|write|savemode|df\\.to_') AS w FROM f)
           SELECT event_id, CASE WHEN w THEN s ELSE t END AS source_id, CASE WHEN w THEN t ELSE s END AS target_id, CASE WHEN w THEN 'WRITES_TO' ELSE 'READS_FROM' END AS edge_type FROM g""",
     } | WORKLOAD
