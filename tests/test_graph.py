@@ -191,3 +191,15 @@ def test_a_stream_of_files_appends_emissions(spark, tmp_path):
     spark.createDataFrame([(0, "r", "a.sql", "CREATE VIEW v AS SELECT t.a FROM t")], spec).write.parquet(str(tmp_path / "in"))
     watch_sql(spark.readStream.schema(spec).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/edges")).count() == 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from headwater.__main__ import main
+
+    (tmp_path / "sql").mkdir()
+    (tmp_path / "sql/a.sql").write_text("CREATE TABLE t (a INT);\nCREATE VIEW v AS SELECT t.a FROM t;")
+    assert main(["analyze", "--repo", f"sql={tmp_path}/sql", "--out", str(tmp_path / "g")]) == 0
+    assert main(["upstream", str(tmp_path / "g"), "v.a"]) == 0 and "t.a" in capsys.readouterr().out
+    assert main(["impact", str(tmp_path / "g"), "nobody"]) == 1
+    assert main(["summary", str(tmp_path / "g"), "--type", "DERIVES_FROM"]) == 0
+    assert main(["search", str(tmp_path / "g"), "V"]) == 0
