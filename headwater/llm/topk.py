@@ -23,7 +23,7 @@ from . import common as c
 #: Vectors of a data block and of a query block, about.
 BLOCK, QUERY_BLOCK = 8192, 1024
 #: Vectors of a leaf at most, unless they are equal; the radius of a child against its parent's.
-LEAF, SHRINK = 48, 0.7
+LEAF, SHRINK = 64, 0.7
 #: Rows, those with the least hash, that give each query a first bound: a limit of that sample, not of the search.
 SAMPLE = 2048
 STEP = 1024
@@ -31,6 +31,17 @@ STEP = 1024
 EXACT = float(1 << 53)
 
 
+def packed(groups: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
+    """Groups too small to be worth a node of their own share one, under the first one's centre; the node's radius covers them all."""
+    out: list[tuple[int, list]] = []
+    for at, g in groups:
+        if out and len(g) < LEAF // 2 and sum(map(len, out[-1][1])) < LEAF // 2:
+            out[-1][1].append(g)
+        else:
+            out.append((at, [g]))
+    return [(at, np.concatenate(g)) for at, g in out]
+
+
 class Tree:
     """A cover tree over the rows of an array. order: rows so that a node's are start to end; child nodes stand next to each other."""
 
@@ -70,6 +81,7 @@ class Tree:
                 rest = rest[~near]
                 if len(rest):
                     at = rest[0]
+            groups = packed(groups)
             if len(groups) == 1:
                 continue
             order[s:e] = np.concatenate([g for _, g in groups])
@@ -170,7 +182,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
 
 def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = column.combine_chunks()
-    return np.asarray(flat.flatten(), np.float64).reshape(-1, dim)
+    return np.asarray(flat.flatten(), np.float64).reshape(len(column), dim)
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
@@ -199,7 +211,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         floor = np.full(len(out["ids"]), -np.inf)
         if len(own) > k:
             ids = np.array([i for i, _ in own], np.int64)
-            scores = product(out["tree"].points, np.array([v for _, v in own], float).reshape(-1, dim)).astype(float)
+            scores = product(out["tree"].points, np.array([v for _, v in own], float).reshape(len(own), dim)).astype(float)
             scores[out["ids"][:, None] == ids[None, :]] = -np.inf
             floor = np.partition(scores, len(own) - k, axis=1)[:, len(own) - k]
         out["floor"] = floor
