@@ -53,14 +53,19 @@ def classified(files: DataFrame) -> DataFrame:
     return out.filter("kind is not null").select(*FILES.names)
 
 
+def known_names() -> str:
+    """A glob of the known suffixes in either case: other files are not even opened."""
+    return "*.{" + ",".join("".join(f"[{ch}{ch.upper()}]" for ch in x) for kinds in SUFFIXES.values() for x in kinds) + "}"
+
+
 def scan(spark: SparkSession, root: str, source_repo: str = "", repo_idx: int = 0, recursive: bool = True) -> DataFrame:
     """The known files under a folder. Bytes that are no UTF-8 become replacement characters."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", known_names()).load(root)
     top = spark._jvm.org.apache.hadoop.fs.Path(root)
     whole = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toUri().getPath().rstrip("/")
     local = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z0-9]+:(//[^/]*)?", "")
     rel = F.substring(local, F.lit(len(whole) + 2), F.lit(1 << 20))
-    rows = raw.select(F.lit(repo_idx).alias("repo_idx"), F.lit(source_repo).alias("source_repo"), rel.alias("rel_path"), F.decode("content", "UTF-8").alias("content"))
+    rows = raw.select(F.lit(repo_idx).alias("repo_idx"), F.lit(source_repo).alias("source_repo"), rel.alias("rel_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     return classified(rows if recursive else rows.filter(~F.col("rel_path").contains("/")))
 
 

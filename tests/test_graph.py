@@ -203,3 +203,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["impact", str(tmp_path / "g"), "nobody"]) == 1
     assert main(["summary", str(tmp_path / "g"), "--type", "DERIVES_FROM"]) == 0
     assert main(["search", str(tmp_path / "g"), "V"]) == 0
+
+
+def test_scan_opens_known_files_only(spark, tmp_path):
+    for name in ("a.SQL", "b.Py", "c.txt", "pipeline/d.json", "other/e.json", "x y+z.sql"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"SELECT \xff")
+    found = {r.rel_path: (r.kind, r.content) for r in S.scan(spark, str(tmp_path), "r").collect()}
+    assert set(found) == {"a.SQL", "b.Py", "pipeline/d.json", "x y+z.sql"} and found["a.SQL"] == ("sql", "SELECT \ufffd")
+    assert "pipeline/d.json" not in {r.rel_path for r in S.scan(spark, str(tmp_path), "r", recursive=False).collect()}
