@@ -140,7 +140,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, specials:
     found = c.map_arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, spec)
     name = f"headwater_blocks_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found.write.format("parquet").option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
+    found.write.format("parquet").option("path", c.scratch_path(spark, "blocks")).option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
     c.made_table(spark, name)
     return spark.table(name)
 
