@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import shutil
 import tempfile
 import uuid
@@ -185,7 +184,3 @@ def kept(key, make):
     if key not in _kept:
         _kept[key] = make()
     return _kept[key]
-
-
-__all__ = [n for n in dir() if not n.startswith("__")]
-_ = re
