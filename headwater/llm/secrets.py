@@ -21,6 +21,10 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Letter lengths of common digests in hexadecimal: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
+#: Parts of a name, and words of two letters.
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+SHORT_WORDS = frozenset("ad am an as at be by db do eu go he hi id if in io ip is it js me my no of ok on or os pi pk py so to tv ui uk up us vs we".split())
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
 def _either(word: str) -> str:
@@ -47,14 +51,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def is_known(run: str) -> bool:
-    """A digest, or an identifier: a UUID, a number, or a name made of letters alone (camel case, snake case, words)."""
+def is_known(run: str, encode) -> bool:
+    """A digest, or an identifier: a UUID, short numbers between marks (dates, telephone numbers), a stretch of the alphabet, digits that count up, or a name that splits into words (camel case, snake case, paths)."""
     bare = run.strip("=-_/+")
     if UUID.fullmatch(bare):
         return True
     if len(bare) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", bare):
         return True
-    return not (re.search("[0-9]", bare) and re.search("[A-Za-z]", bare)) or bool(re.fullmatch(r"[A-Za-z_/=+-]+[0-9]{0,4}", bare))
+    if re.fullmatch(r"(?:[0-9]{0,8}[=_/+-]+)*[0-9]{0,8}", bare) or bare.lower() in ALPHABET or (bare.isdigit() and all((int(y) - int(x)) % 10 == 1 for x, y in zip(bare, bare[1:], strict=False))):
+        return True
+    return bool(re.fullmatch(r"[A-Za-z_/=+-]+[0-9]{0,4}", bare)) and splits_into_words(bare, encode)
+
+
+def splits_into_words(name: str, encode) -> bool:
+    """Each part is a word, and words of three letters or more make up half the letters at least. A word is one token of the vocabulary, in small letters, alone or behind a space; of one or two letters, a letter or one of SHORT_WORDS."""
+    parts = [p.lower() for p in PART.findall(name)]
+    long = [p for p in parts if len(p) > 2]
+    if 2 * sum(map(len, long)) < sum(map(len, parts)):
+        return False
+    return all(p in SHORT_WORDS for p in parts if len(p) == 2) and all(len(encode(" " + p)) == 1 or len(encode(p)) == 1 for p in long)
 
 
 def random_spans(text: str, encode, max_ratio: float, covered: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -62,7 +77,7 @@ def random_spans(text: str, encode, max_ratio: float, covered: list[tuple[str, i
     out = []
     for m in RUN.finditer(text):
         s, e = m.span()
-        if any(a <= s and e <= b for _, a, b in covered) or is_known(m[0]):
+        if any(a <= s and e <= b for _, a, b in covered) or is_known(m[0], encode):
             continue
         if len(m[0]) <= max_ratio * len(encode(m[0])):
             out.append(("random", s, e))

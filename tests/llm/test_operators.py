@@ -198,6 +198,15 @@ def test_random_strings_but_no_digests_or_names(spark):
     assert out[0].text == "key [SECRET] end" and out[0].n_chars == len(out[0].text) and out[2].text == texts[2]
 
 
+def test_random_strings_without_inner_digits(spark):
+    """Letters alone, letters with digits behind them, digits alone: the ratio judges them; names that split into words stay."""
+    found = ["qWxKzPvNbLmTrYcHdSgJ", "zqxjvkwpgbfmhdtcnrls42", "XQZJKVWPGBFMHDTCNRLSYU", "01723456789012345678905"]
+    names = ["path_to_my_file_in_db", "https/www/example/com/a/b/c/d", "getCustomerAccountNumberById", "usr/lib/src/app/cfg/a", "2024-01-01-00-00-00-000", "abcdefghijklmnopqrstuvwxyz", "-_-_-_-_-_-_-_-_-_-_-_-_"]
+    d = spark.createDataFrame([(i, f"see {t} end") for i, t in enumerate(found + names)], "doc_id long, text string")
+    assert [r.n_random for r in secrets.scan_secrets(d).orderBy("doc_id").collect()] == [1] * len(found) + [0] * len(names)
+    assert [r.text for r in secrets.redact_secrets(d).orderBy("doc_id").collect()] == ["see [SECRET] end"] * len(found) + [f"see {t} end" for t in names]
+
+
 def test_base_spans_equal_the_plain_patterns():
     import re
 
