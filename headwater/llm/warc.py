@@ -143,20 +143,20 @@ def _id_of(urn: str | None) -> str | None:
 
 
 def parse_record(fields: dict[str, str], block: bytes) -> tuple:
-    """(id, url, payload_bytes, payload_digest, record_type, refers_to, payload); a response whose payload does not match its digest is an error."""
+    """(id, url, payload_bytes, payload_digest, record_type, refers_to, payload, refers_url); a response whose payload does not match its digest is an error."""
     head, _, payload = block.partition(b"\r\n\r\n")
     length = next(int(v) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if k.lower() == b"content-length")
     digest = fields["warc-payload-digest"].partition(":")[2]
     kind = fields["warc-type"]
     if kind == "response" and (len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError(f"{fields['warc-record-id']}: the payload is not what its digest says")
-    return _id_of(fields["warc-record-id"]), fields.get("warc-target-uri"), length, digest, kind, _id_of(fields.get("warc-refers-to")), payload if kind == "response" else None
+    return _id_of(fields["warc-record-id"]), fields.get("warc-target-uri"), length, digest, kind, _id_of(fields.get("warc-refers-to")), payload if kind == "response" else None, fields.get("warc-refers-to-target-uri")
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """(id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) of every record; ids are strings. An archive is read by one task, record by record."""
-    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.string()] * payloads]
-    names = ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payloads]
+    """(id, url, payload_bytes, payload_digest, record_type, refers_to[, payload, refers_url]) of every record; ids are strings. An archive is read by one task, record by record."""
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.string()] * 2 * payloads]
+    names = ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload", "refers_url"] * payloads]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -168,7 +168,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                 rows, held = [], 0
                 for fields, block in Archive(data.as_py()):
                     r = parse_record(fields, block)
-                    rows.append((*r[:6], *([r[6].decode("utf-8", "surrogatepass") if r[6] is not None else None] * payloads)))
+                    rows.append((*r[:6], *([r[6].decode("utf-8", "surrogatepass") if r[6] is not None else None, r[7]] * payloads)))
                     held += len(block) if payloads else 100
                     if held > 1 << 23:
                         yield out(rows)
@@ -176,13 +176,16 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                 yield out(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return c.map_arrow(files, run, "id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload string" * payloads)
+    return c.map_arrow(files, run, "id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload string, refers_url string" * payloads)
 
 
 def deduplicate_archives(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -> None:
-    """Archives of another folder, rewritten: revisits whose original is there are resolved anew by digest with the other records."""
+    """Archives of another folder, rewritten: revisits whose original is there are resolved anew by digest with the other records; others stay as they are. Ids are compared as numbers if all are whole numbers."""
     records = read_warc(spark, source, payloads=True)
+    if records.filter("id is not null and not id rlike '^(0|[1-9][0-9]{0,17})$' or refers_to is not null and not refers_to rlike '^(0|[1-9][0-9]{0,17})$'").isEmpty():
+        records = records.withColumns({x: F.col(x).cast("long") for x in ("id", "refers_to")})
     held = records.filter("record_type = 'response'")
     texts = held.groupBy("payload_digest").agg(F.min("payload").alias("found"))
-    whole = records.join(texts, "payload_digest", "left").select("id", "url", F.coalesce("payload", "found").alias("payload"))
-    write_warc(resolve_revisits(whole, min_bytes), target)
+    whole = records.join(texts, "payload_digest", "left").withColumn("payload", F.coalesce("payload", "found"))
+    resolved = resolve_revisits(whole.filter("payload is not null").select("id", "url", "payload"), min_bytes)
+    write_warc(resolved.unionByName(whole.filter("payload is null").select(*resolved.columns)), target)

@@ -99,6 +99,17 @@ def brute_top(vectors, k, every):
     return sorted(out, key=repr)
 
 
+def test_archives_that_lack_an_original(spark, tmp_path):
+    rows = [(9, "u9", "same text"), (10, "u10", "same text"), (1, "u1", "gone"), (2, "u2", "gone"), (3, "u3", "lost"), (4, "u4", "lost")]
+    resolved = warc.resolve_revisits(spark.createDataFrame(rows, "id long, url string, payload string"))
+    warc.write_warc(resolved.filter("id not in (1, 3)"), f"{tmp_path}/part")
+    warc.deduplicate_archives(spark, f"{tmp_path}/part", f"{tmp_path}/new")
+    cols = ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_url"]
+    got = {tuple(r) for r in warc.read_warc(spark, f"{tmp_path}/new", payloads=True).select(*cols).collect()}
+    want = {(str(r.id), *r[1:5], None if r.refers_to is None else str(r.refers_to), r.refers_url) for r in resolved.filter("id not in (1, 3)").select(*cols).collect()}
+    assert got == want and {(r[0], r[4], r[5]) for r in got} == {("9", "response", None), ("10", "revisit", "9"), ("2", "revisit", "1"), ("4", "revisit", "3")}
+
+
 def test_top_k_is_exact(spark, monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 8))
