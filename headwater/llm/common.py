@@ -99,13 +99,15 @@ def release_scratch(spark: SparkSession, since: int = 0, until: int | None = Non
 
 
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """True if df, counted exactly, stays below the limit: the check behind every broadcast."""
+    """True if df stays below the limit: its rows, counted exactly, times row_bytes, and the length of all its strings. The check behind every broadcast."""
+    lengths = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
     most = max(1, limit // row_bytes)
-    return df.limit(most + 1).count() <= most
+    n, held = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(sum(lengths, F.lit(0).cast("long"))), F.lit(0))).first()
+    return n <= most and n * row_bytes + held <= limit
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted size is within the limit, else as it is: the join then shuffles."""
+    """df with a broadcast hint if its measured size is within the limit, else as it is: the join then shuffles."""
     return F.broadcast(df) if small_enough(df, row_bytes, limit) else df
 
 
@@ -129,10 +131,6 @@ def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL)
 
 
-def word_array(text: Column) -> Column:
-    return F.regexp_extract_all(lowered(text), F.lit(f"({WORD_PATTERN})"), F.lit(1))
-
-
 def with_key(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     """(df, the name of a column that tells its rows apart): the id itself if it is a whole number, unique and never null; else numbers given once and written."""
     whole = df.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")

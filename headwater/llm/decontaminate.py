@@ -17,12 +17,15 @@ from . import common as c
 #: Positions take the low bits of a posting's key, terms the high ones.
 POSITION_BITS = 31
 TERM_SHARDS = 64
-#: The words of a text before capitals become small: the same places, as capitals stand in the class too.
-CASED_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, before capitals become small: what the class of word characters leaves out, less the capitals.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Stands in the word list of a document behind its last word; no word holds a space. Its posting has the number of words as position.
+END, END_TERM = " ", -1
 
 
 def cased_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({CASED_PATTERN})"), F.lit(0))
+    """Words of a text, with an empty one in front or behind where a separator stands there. Splitting at separators is several times faster than extracting words."""
+    return F.split(F.coalesce(text, F.lit("")), SEPARATORS)
 
 
 def small(word: Column) -> Column:
@@ -30,15 +33,15 @@ def small(word: Column) -> Column:
     return F.when(F.lower(word) == word, word).otherwise(F.translate(word, c.CAPITALS, c.SMALL))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, text) with a key for each row."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """((key, id, text) with a key for each row, whether the key is another than the id)."""
     own, key = c.with_key(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "id")
-    return own.select(F.col(key).cast("long").alias("key"), "id", "text")
+    return own.select(F.col(key).cast("long").alias("key"), "id", "text"), key != "id"
 
 
 def item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """(item, item_id, ip, word, n): the words of each item; wordless items have none."""
-    own = items.select(items[item_col].cast("string").alias("item_id"), cased_words(items[text_col]).alias("w"))
+    own = items.select(items[item_col].cast("string").alias("item_id"), F.array_remove(cased_words(items[text_col]), "").alias("w"))
     own = c.written(own.filter(F.size("w") > 0).select(F.monotonically_increasing_id().alias("item"), "item_id", "w"), "items")
     return own.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("ip", "word")).withColumn("word", small(F.col("word")))
 
@@ -55,9 +58,15 @@ def posting(term: Column, pos: Column) -> Column:
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The stored index: (term, key, pos). docs: (key, text)."""
-    tokens = docs.select("key", F.posexplode(cased_words(F.col("text"))).alias("pos", "word")).withColumn("word", small(F.col("word")))
-    found = tokens.join(c.broadcast_if_small(terms, 64), "word").select("term", "key", "pos")
+    """The stored index: (term, key, pos), and a row (END_TERM, key, number of words) for each document, from one pass over the texts. docs: (key, text)."""
+    split = docs.select("key", cased_words(F.col("text")).alias("w"))
+    before = (F.get("w", F.lit(0)) == "").cast("int")
+    behind = ((F.size("w") > 1) & (F.get("w", F.size("w") - 1) == "")).cast("int")
+    split = split.select("key", before.alias("before"), (F.size("w") - before - behind).alias("n"), F.concat("w", F.array(F.lit(END))).alias("w"))
+    tokens = split.select("key", "before", "n", F.posexplode("w").alias("at", "word")).withColumn("word", small(F.col("word")))
+    known = terms.select("word", "term").union(docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(END_TERM).cast("long").alias("term")))
+    found = tokens.join(c.broadcast_if_small(known, 32), "word")
+    found = found.select("term", "key", F.when(F.col("term") == END_TERM, F.col("n")).otherwise(F.col("at") - F.col("before")).alias("pos"))
     return c.written(found.sortWithinPartitions("term"), "postings")
 
 
@@ -83,9 +92,11 @@ def places_found(index: DataFrame, places: DataFrame, frequency: DataFrame, wind
     with_second = index.join(seconds, "term", "left_semi").select("key", posting(F.col("term"), F.col("pos")).alias("p"))
     paired = first.filter("term2 is not null and diagonal + ip2 >= 0").withColumn("p", posting(F.col("term2"), F.col("diagonal") + F.col("ip2"))).join(with_second, ["key", "p"])
     cols = ["key", "item", "n", "diagonal", "lo", "hi"]
-    hoped = paired.select(*cols).union(alone.select(*cols)).select("key", "item", "n", "diagonal", F.explode(F.sequence("lo", "hi")).alias("ip")).distinct()
+    near = c.written(paired.select(*cols).union(alone.select(*cols)), "near")
+    hoped = near.select("key", "item", "n", "diagonal", F.explode(F.sequence("lo", "hi")).alias("ip")).distinct()
     hoped = hoped.filter("diagonal + ip >= 0").join(c.broadcast_if_small(places.select("item", "ip", "term"), 32), ["item", "ip"]).withColumn("p", posting(F.col("term"), F.col("diagonal") + F.col("ip")))
-    every = index.select("key", posting(F.col("term"), F.col("pos")).alias("p"))
+    asked = c.broadcast_if_small(near.select("key").distinct(), 16)  # postings of other documents don't move
+    every = index.join(asked, "key", "left_semi").select("key", posting(F.col("term"), F.col("pos")).alias("p"))
     return hoped.join(every, ["key", "p"]).groupBy("key", "item", "n", "diagonal").agg(F.sort_array(F.collect_set("ip")).alias("m"))
 
 
@@ -96,11 +107,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items without words have no window; rows of one item_id count as one item, a null item_id hits words but is no item.
     Repeated and null document ids are told apart by row. Other columns are not read. Empty tables give no rows, or no hits.
     """
-    own = keyed(docs, id_col, text_col)
+    own, named = keyed(docs, id_col, text_col)
     words = item_words(benchmark, item_col, item_text_col)
     terms = c.written(vocabulary(words), "terms")
     places = c.written(words.join(terms, "word").select("item", "item_id", "n", "ip", "term"), "places")
-    index = build_index(own.select("key", "text"), terms)
+    stored = build_index(own.select("key", "text"), terms)
+    index = stored.filter(F.col("term") != END_TERM)
     frequency = c.written(index.groupBy("term").agg(F.count("*").alias("f")), "frequency")
     found = places_found(index, places, frequency, window)
     w = F.least(F.lit(window), F.col("n"))
@@ -109,8 +121,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     full = c.written(full.select("key", "item", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + w - 1)))).alias("hit")), "hits")
     n_hit = full.select("key", F.explode("hit").alias("pos")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     ids = places.select("item", "item_id").distinct()
-    by_item = full.select("key", "item").distinct().join(c.broadcast_if_small(ids, 64), "item").filter("item_id is not null").groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("hit_items"))
-    counted = own.select("key", "id", F.size(cased_words(F.col("text"))).cast("long").alias("n_words"))
+    by_item = full.select("key", "item").distinct().join(c.broadcast_if_small(ids, 32), "item").filter("item_id is not null").groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("hit_items"))
+    counted = stored.filter(F.col("term") == END_TERM).select("key", F.col("pos").cast("long").alias("n_words"))
+    counted = counted.join(own.select("key", "id"), "key") if named else counted.withColumn("id", F.col("key").cast(docs.schema[id_col].dataType))
     out = counted.join(n_hit.join(by_item, "key", "left"), "key", "left")
     items = F.coalesce("hit_items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0))

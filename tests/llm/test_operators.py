@@ -179,7 +179,7 @@ def test_decontamination_of_unique_ids_and_nothing(spark, none):
 
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a x x b x x x x x x a b"), (2, "b a")], "doc_id long, text string")
-    own = decontaminate.keyed(d, "doc_id", "text").select("key", "text")
+    own = decontaminate.keyed(d, "doc_id", "text")[0].select("key", "text")
     terms = decontaminate.vocabulary(spark.createDataFrame([("a",), ("b",)], "word string"))
     number = {r.word: r.term for r in terms.collect()}
     index = decontaminate.build_index(own, terms)
