@@ -413,11 +413,64 @@ def test_store_round_trip(spark, docs, none, tmp_path):
     assert [whole[k][0] for k in sorted(whole)] == [i for i, _ in order]
     want = sorted((d, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for s, (d, x) in whole.items() if d is not None)
     assert [r for r in rows(idstore.read_digests(spark, path), "doc_id", "start", "n_tokens", "ids_crc32") if r[0] is not None] == sorted(want, key=repr)
-    assert idstore.verify_store(spark, path).count() == 0
+    assert idstore.verify_store(spark, path) == []
     long_chunks = {tuple(r.hashes) for r in spark.read.parquet(f"{path}/recipes").filter("id in (5, 6, 7)").collect()}
     assert len({h for x in long_chunks for h in x}) < sum(map(len, long_chunks)), "equal passages share chunks"
     idstore.write_store(none, f"file://{tmp_path}/e")
     assert idstore.read_digests(spark, f"file://{tmp_path}/e").count() == 0
+    assert idstore.read_documents(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_damaged_stores_are_errors(spark, docs, tmp_path):
+    """A lost recipes file, manifest row or chunk and an altered byte are errors of both readers."""
+    import shutil
+
+    whole = tmp_path / "whole"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows are one part
+    idstore.write_store(docs, f"file://{whole}")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert spark.read.parquet(f"file://{whole}/manifest").count() > 1
+
+    def copy(name):
+        shutil.copytree(whole, tmp_path / name)
+        return tmp_path / name
+
+    def rewritten(name, table, change):
+        at = copy(name)
+        change(spark.read.parquet(f"file://{whole}/{table}")).coalesce(1).write.mode("overwrite").parquet(f"file://{at}/{table}")
+        return at
+
+    lost = copy("recipes")
+    next(p for p in sorted((lost / "recipes").glob("*.parquet"))).unlink()
+    first = spark.read.parquet(f"file://{whole}/manifest").agg(F.min("part")).first()[0]
+    key = spark.read.parquet(f"file://{whole}/chunks").orderBy(F.length("data").desc()).first()["key"]
+    is_key = F.col("key") == F.lit(bytes(key))
+    damaged = [
+        lost,
+        rewritten("row", "manifest", lambda m: m.filter(F.col("part") != first)),
+        rewritten("count", "manifest", lambda m: m.withColumn("n_docs", F.col("n_docs") + 1)),
+        rewritten("chunk", "chunks", lambda x: x.filter(~is_key)),
+        rewritten("byte", "chunks", lambda x: x.withColumn("data", F.when(is_key, F.concat(F.lit(b"\x09"), F.expr("substring(data, 2)"))).otherwise(F.col("data")))),
+        rewritten("hashes", "recipes", lambda x: x.withColumn("hashes", F.when(F.size("hashes") > 1, F.reverse("hashes")).otherwise(F.col("hashes")))),
+    ]
+    for at in damaged:
+        for read in (idstore.read_digests, idstore.read_documents):
+            with pytest.raises(Exception, match="manifest|root|chunk|recipe"):
+                read(spark, f"file://{at}").collect()
+    assert idstore.read_digests(spark, f"file://{whole}").count() == len(TEXTS)
+
+
+def test_ids_equal_the_library(monkeypatch):
+    """Letters with odd small forms, marks, special strings, odd white space; also with memories of a few words."""
+    import pyarrow as pa
+
+    texts = ["", None, "Kelvin K Å ẞ İx ſ ª º µ ŉ ŀ Ĳ Ÿ ﬁ ǅ", "a  b\n\nc \n d\t<|endoftext|> e 日本語 ́x", "don't I'LL x' 12.5, É. %%% ... a.%%% <|startoftext|>.", "\r\n a\rb ÀÀÀ!!! \xa0x  y", prose(3000)]
+    for cache, group in ((1_000_000, 4 << 20), (5, 100)):
+        monkeypatch.setattr(idstore, "CACHE", cache)
+        monkeypatch.setattr(idstore, "GROUP", group)
+        e = idstore.Encoder(common.tokenizer_file("word_bpe_49k.json"))
+        found = [ids[a:b].tolist() for g in idstore.groups(pa.array(texts)) for ids, at in [e.encode(g)] for a, b in zip(at, at[1:], strict=False)]
+        assert found == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_cuts_follow_the_content():
