@@ -52,6 +52,7 @@ def encode_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         table_of = c.kept(("token bytes", path), lambda: token_bytes(path))
         decimal = ["".join([f"{i}," for i in x]).encode() for x in of]
         decoded = [b"".join([table_of[i] for i in x]) for x in of]
+        del every, of
         n_tokens, by_ids, by_bytes = [], [], []
         for s, e in docs_of:
             at = seq[s:e]

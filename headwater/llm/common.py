@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +45,9 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Scratch that nothing has deleted yet, and the list of the innermost scratch() that is open.
 _made: list[tuple[SparkSession, str]] = []
+_open: ContextVar[list | None] = ContextVar("scratch", default=None)
 _local: list[str] = []
 
 
@@ -51,18 +56,48 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="headwater-"))
         atexit.register(shutil.rmtree, _local[0], True)
     return f"file://{_local[0]}"
 
 
+def _owner() -> list[tuple[SparkSession, str]]:
+    own = _open.get()
+    return _made if own is None else own
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     path = f"{shared_dir(spark)}/headwater/{what}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _owner().append((spark, path))
     return path
 
 
+def made_table(spark: SparkSession, name: str) -> None:
+    """A scratch table of the warehouse, deleted with the scratch paths."""
+    _owner().append((spark, f"table:{name}"))
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Scratch made inside is deleted at the end. What it gives writes a table that stays, with the scratch around it: the result."""
+    outer, own = _owner(), []
+    token = _open.set(own)
+
+    def result(df: DataFrame, what: str) -> DataFrame:
+        out = written(df, what)
+        outer.append(own.pop())
+        return out
+
+    try:
+        yield result
+    finally:
+        _open.reset(token)
+        _delete(own)
+
+
 def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: lineage ends there, and a lost executor costs no earlier work."""
     spark = df.sparkSession
@@ -71,39 +106,32 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def made_table(spark: SparkSession, name: str) -> None:
-    """A scratch table of the warehouse, deleted with the scratch paths."""
-    _made.append((spark, f"table:{name}"))
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def scratch_mark() -> int:
-    return len(_made)
+def _delete(made: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in made:
+        if path.startswith("table:"):
+            spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
+        else:
+            delete_path(spark, path)
 
 
-def release_scratch(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
-    """Delete scratch tables made between two marks. Only when no DataFrame that reads them is used any more."""
-    for owner, path in _made[since:until]:
-        if path and owner is spark:
-            if path.startswith("table:"):
-                spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
-            else:
-                delete_path(spark, path)
-    for i in range(since, len(_made) if until is None else until):
-        _made[i] = (_made[i][0], "")
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the session's scratch. Only when no DataFrame that reads it is used any more."""
+    own = [x for x in _made if x[0] is spark]
+    _made[:] = [x for x in _made if x[0] is not spark]
+    _delete(own)
 
 
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """True if df stays below the limit: its rows, counted exactly, times row_bytes, and the length of all its strings. The check behind every broadcast."""
     lengths = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
-    most = max(1, limit // row_bytes)
-    n, held = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(sum(lengths, F.lit(0).cast("long"))), F.lit(0))).first()
-    return n <= most and n * row_bytes + held <= limit
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(sum(lengths, F.lit(0).cast("long"))), F.lit(0))).first()
+    return n * row_bytes + held <= limit
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -111,9 +139,22 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if small_enough(df, row_bytes, limit) else df
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            slim()
+
     tune(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
+
+
+def slim() -> None:
+    """Give back what a task has freed: workers stay for later tasks beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := kept("malloc_trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
 
 
 def batch_of(schema: pa.Schema, columns: Iterable[list]) -> pa.RecordBatch:

@@ -154,5 +154,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
             b = b.set_column(at, b.schema.field(at), pa.array(texts, b.column(at).type))
             yield b.set_column(also, b.schema.field(also), pa.array(sizes, b.column(also).type)) if also is not None else b
 
-    c.tune(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return c.map_arrow(docs, run, docs.schema)

@@ -39,12 +39,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     lengths = np.fromiter(map(len, w), np.int64, len(w))
     ends = np.cumsum(lengths + 1) - 1
     starts, ends = (ends - lengths).tolist(), ends.tolist()[shingle - 1 :]
-    n = len(ends)
+    return majority(np.array([digest(line[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes already made: a bit is 1 if more than half of them have it; 0 of none."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, PIECE):
-        h = np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + PIECE], ends[at : at + PIECE], strict=False)], np.uint64).astype(">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    for at in range(0, len(hashes), PIECE):
+        ones += np.unpackbits(hashes[at : at + PIECE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -281,5 +281,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             keep = [bool(np.dot(values_of(t, hand, words, prefixes, cache)[0], w[:-1]) + w[-1] < 0) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    c.tune(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return c.map_arrow(docs, run, docs.schema)

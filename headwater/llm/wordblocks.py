@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -189,8 +190,8 @@ def gathered(table: DataFrame, answered: DataFrame, finish: Callable, schema: st
     """finish(block row, lengths by number, ids) of each block, which yields record batches. A word without an answer is an error."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        for row in left.to_pylist():
-            n = len(row["words"])
+        c.slim()  # the block before this one is gone
+        for n, row in zip(pc.list_value_length(left.column("words")).to_pylist(), left.drop_columns(["words"]).to_pylist(), strict=True):
             at = np.concatenate([unpacked(x.as_py()) for x in right.column("at")]) if right.num_rows else np.empty(0, np.uint32)
             lens = np.concatenate([unpacked(x.as_py()) for x in right.column("lens")]) if right.num_rows else np.empty(0, np.uint32)
             ids = np.concatenate([unpacked(x.as_py()) for x in right.column("ids")]) if right.num_rows else np.empty(0, np.uint32)
