@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators import traverse
 from .plans.build import Repository, build, read_json, repositories, write_json
@@ -38,6 +38,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def printed(rows: DataFrame) -> None:
+    """All rows, partition by partition, tab-separated."""
+    print(*rows.columns, sep="\t")
+    for x in rows.toLocalIterator():
+        print(*x, sep="\t")
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("headwater").getOrCreate()
@@ -66,11 +73,11 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "summary":
             traverse.counts(graph).orderBy("kind", "value").show(100, False)
             if args.type or args.below is not None:
-                traverse.listing(graph, args.type, args.below).orderBy("source_id", "target_id").show(1000, False)
+                printed(traverse.listing(graph, args.type, args.below).orderBy("source_id", "target_id"))
         else:
             out = traverse.walk(graph, args.what, args.command == "downstream", args.depth)
-            out.nodes.select("id", "node_type").orderBy("id").show(1000, False)
-            out.edges.select("source_id", "edge_type", "target_id", "transformation", "confidence").orderBy("source_id", "target_id").show(1000, False)
+            printed(out.nodes.select("id", "node_type").orderBy("id"))
+            printed(out.edges.select("source_id", "edge_type", "target_id", "transformation", "confidence").orderBy("source_id", "target_id"))
     except KeyError as e:
         print(f"no node {e}", file=sys.stderr)
         return 1

@@ -27,7 +27,3 @@ def merge_edges(emitted: DataFrame) -> DataFrame:
 def merge(graph: Graph) -> Graph:
     return Graph(merge_nodes(graph.nodes), merge_edges(graph.edges))
 
-
-def tag_repository(nodes: DataFrame, repo: str) -> DataFrame:
-    """source_repo where there is none yet."""
-    return nodes.withColumn("source_repo", F.coalesce(F.nullif(F.col("source_repo"), F.lit("")), F.lit(repo)))

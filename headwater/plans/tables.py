@@ -62,7 +62,7 @@ SELECT doc_id, source || '/' || CASE WHEN lang = 'de' THEN 'Pipeline/' WHEN lang
 """
 PROC_SQL = """
 SELECT doc_id, lang, 'CREATE OR REPLACE ' || CASE WHEN lang = 'de' THEN 'FUNCTION' ELSE 'procedure' END || ' app."P' || CAST(doc_id AS STRING) || '" AS ' || text
-  || ' INSERT INTO dw.t_' || source || ' (Doc_Id, "Lang", n_chars) SELECT 1; INSERT INTO t_' || source || ' (other) SELECT 2' AS content, 't_' || source AS tbl FROM documents
+  || ' INSERT INTO dw.t_' || source || ' (Doc_Id, "Lang", n_chars) SELECT 1; INSERT INTO t_' || source || ' (other) SELECT 2' AS content, 't_' || source AS tbl, source FROM documents
 """
 
 
@@ -121,8 +121,8 @@ def _nodes(df: DataFrame) -> DataFrame:
 
 E_CTE = f"e AS ({EDGES_SQL})"
 N_CTE = f"n AS ({NODES_SQL})"
-MERGED_NODES = "mn AS (SELECT id, name, node_type, origin FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN origin = 'llm' THEN 1 ELSE 0 END, rank, name) AS k FROM n) WHERE k = 1)"
-MERGED_EDGES = "me AS (SELECT source_id, target_id, edge_type, transformation, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, edge_type ORDER BY confidence DESC, transformation) AS k FROM e) WHERE k = 1)"
+MERGED_NODES = "mn AS MATERIALIZED (SELECT id, name, node_type, origin FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN origin = 'llm' THEN 1 ELSE 0 END, rank, name) AS k FROM n) WHERE k = 1)"
+MERGED_EDGES = "me AS MATERIALIZED (SELECT source_id, target_id, edge_type, transformation, confidence FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, edge_type ORDER BY confidence DESC, transformation) AS k FROM e) WHERE k = 1)"
 BOTH = f"{N_CTE}, {E_CTE}, {MERGED_NODES}, {MERGED_EDGES}"
 PROTECTED_SQL = "('FILE', 'PROCEDURE', 'PYTHON_FUNCTION', 'ADF_PIPELINE', 'ADF_DATASET', 'ADF_DATAFLOW')"
 
@@ -130,11 +130,10 @@ PROTECTED_SQL = "('FILE', 'PROCEDURE', 'PYTHON_FUNCTION', 'ADF_PIPELINE', 'ADF_D
 def round_sql(k: int) -> str:
     """Round k of pruning: n{k}, e{k} from n{k-1}, e{k-1}."""
     a, b = f"n{k - 1}", f"e{k - 1}"
-    return f"""d{k} AS (SELECT id FROM {a} WHERE node_type NOT IN {PROTECTED_SQL} AND (
-      (id NOT IN (SELECT source_id FROM {b} WHERE edge_type <> 'DEFINED_IN') AND id NOT IN (SELECT target_id FROM {b}))
-      OR (node_type = 'TABLE' AND origin = 'llm' AND id NOT IN (SELECT source_id FROM {b} WHERE edge_type = 'HAS_COLUMN')))),
-    n{k} AS (SELECT * FROM {a} WHERE id NOT IN (SELECT id FROM d{k})),
-    e{k} AS (SELECT * FROM {b} WHERE source_id NOT IN (SELECT id FROM d{k}) AND target_id NOT IN (SELECT id FROM d{k}))"""
+    return f"""x{k} AS MATERIALIZED (SELECT id, bool_or(linked) AS linked, bool_or(owns) AS owns FROM (SELECT source_id AS id, edge_type <> 'DEFINED_IN' AS linked, edge_type = 'HAS_COLUMN' AS owns FROM {b} UNION ALL SELECT target_id, TRUE, FALSE FROM {b}) GROUP BY id),
+    d{k} AS MATERIALIZED (SELECT a.id FROM {a} a LEFT JOIN x{k} x ON x.id = a.id WHERE node_type NOT IN {PROTECTED_SQL} AND (NOT coalesce(linked, FALSE) OR (node_type = 'TABLE' AND origin = 'llm' AND NOT coalesce(owns, FALSE)))),
+    n{k} AS MATERIALIZED (SELECT a.* FROM {a} a ANTI JOIN d{k} d ON d.id = a.id),
+    e{k} AS MATERIALIZED (SELECT b.* FROM {b} b ANTI JOIN d{k} s ON s.id = b.source_id ANTI JOIN d{k} t ON t.id = b.target_id)"""
 
 
 PRUNED = f"WITH {BOTH}, n0 AS (SELECT * FROM mn), e0 AS (SELECT * FROM me), " + ", ".join(round_sql(k) for k in range(1, 7))
@@ -279,11 +278,34 @@ def content_hash_cache(spark, sf_dir):
 
 
 def fallback_gate(spark, sf_dir):
-    rows = said(spark, sf_dir, PROC_SQL).withColumn("content", F.when(F.col("lang") == "en", F.regexp_replace("content", "CREATE OR REPLACE procedure", "x")).when(F.col("lang") == "fr", F.substring("content", 1, 20)).otherwise(F.col("content")))
+    rows = said(spark, sf_dir, PROC_SQL).withColumn("content", F.when(F.col("lang") == "en", F.regexp_replace("content", "CREATE OR REPLACE procedure", "x")).when(F.col("lang") == "fr", F.concat(F.lit("select "), F.col("source"))).otherwise(F.col("content")))
     return rows.select("doc_id", S.needs_fallback(F.col("content"), F.col("lang") == "es").alias("needed"))
 
 
 def link_procedures(spark, sf_dir):
+    """What linking adds to the emissions of files that each create a routine and write to one table."""
+    rows = said(spark, sf_dir, PROC_SQL).withColumn("path", F.col("doc_id").cast("string"))
+    seq = F.struct(F.lit(0).alias("repo_idx"), "path", F.lit(0).cast("long").alias("emit_idx")).alias("seq")
+    none = F.create_map().cast("map<string,string>").alias("metadata")
+    nodes = rows.select(F.col("tbl").alias("id"), F.col("tbl").alias("name"), F.lit("TABLE").alias("node_type"), F.lit("").alias("source_repo"), none, seq)
+    edges = rows.select(F.lit("somewhere").alias("source_id"), F.col("tbl").alias("target_id"), F.lit("WRITES_TO").alias("edge_type"), F.lit("").alias("transformation"), F.lit(1.0).alias("confidence"), none, seq)
+    files = rows.select(F.lit(0).alias("repo_idx"), "path", "content")
+    return R.link_procedures(files, Graph(nodes, edges)).edges.select(*EDGE_COLS)
+
+
+def changed_files(spark, sf_dir):
+    """Files of two snapshots: one kind is edited, one is gone."""
+    f = said(spark, sf_dir, FILES_SQL).select("rel_path", "source_repo", F.endswith("rel_path", F.lit(".SQL")).alias("edited"), "content")
+    head = f.filter("source_repo <> 'src3'").withColumn("content", F.when(F.col("edited"), F.concat("content", F.lit(" --"))).otherwise(F.col("content")))
+    hashed = lambda d: d.select("rel_path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
+    return S.changed_files(hashed(f), hashed(head))
+
+
+def relevant_files(spark, sf_dir):
+    return S.relevant(said(spark, sf_dir, FILES_SQL).select(F.regexp_replace("rel_path", "^src1/", r"src1\\").alias("rel_path")), ["./src1", "src2/", "src30"])
+
+
+def procedure_names(spark, sf_dir):
     return R.procedure_names(said(spark, sf_dir, PROC_SQL)).select("proc", F.col("tbl").alias("target"))
 
 
@@ -354,7 +376,7 @@ def workload(sql: str):
 
 
 def queries() -> dict:
-    own = (classify_files, content_hash_cache, fallback_gate, merge_nodes, merge_edges, prune_round1, prune_fixpoint, normalize_writes, notebook_remap, copy_source_columns, copy_sink_columns, link_procedures, insert_columns, flow_direction, sql_column_lineage, factory_lineage, interpreted_lineage, upstream_depth, downstream_depth, bfs_edges, impact_summary, impact_ids, search_nodes, summary_by_type, edge_listing, diff_nodes, diff_edges, diff_counts, impacted_nodes, report_rows)
+    own = (classify_files, content_hash_cache, fallback_gate, merge_nodes, merge_edges, prune_round1, prune_fixpoint, normalize_writes, notebook_remap, copy_source_columns, copy_sink_columns, changed_files, relevant_files, procedure_names, link_procedures, insert_columns, flow_direction, sql_column_lineage, factory_lineage, interpreted_lineage, upstream_depth, downstream_depth, bfs_edges, impact_summary, impact_ids, search_nodes, summary_by_type, edge_listing, diff_nodes, diff_edges, diff_counts, impacted_nodes, report_rows)
     return {f.__name__: f for f in own} | {k: workload(v) for k, v in WORKLOAD.items()}
 
 
@@ -437,9 +459,14 @@ def oracle_sql() -> dict[str, str]:
         "content_hash_cache": f"""WITH f AS (SELECT doc_id, source_repo, string_split(rel_path, '.')[-1] AS rel_path, sha256(content) AS sha256 FROM ({FILES_SQL})),
           k AS (SELECT source_repo, rel_path, sha256 FROM f WHERE source_repo <> 'src0' OR rel_path = 'json')
           SELECT doc_id, source_repo, rel_path, sha256 FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source_repo = f.source_repo AND k.rel_path = f.rel_path AND k.sha256 = f.sha256)""",
-        "fallback_gate": f"""WITH p AS ({PROC_SQL}), q AS (SELECT doc_id, lang, CASE WHEN lang = 'en' THEN replace(content, 'CREATE OR REPLACE procedure', 'x') WHEN lang = 'fr' THEN substr(content, 1, 20) ELSE content END AS content FROM p)
+        "fallback_gate": f"""WITH p AS ({PROC_SQL}), q AS (SELECT doc_id, lang, CASE WHEN lang = 'en' THEN replace(content, 'CREATE OR REPLACE procedure', 'x') WHEN lang = 'fr' THEN 'select ' || source ELSE content END AS content FROM p)
           SELECT doc_id, ({GATE}) OR (lang <> 'es' AND length(trim(content)) > 100) AS needed FROM q""",
-        "link_procedures": f"""WITH p AS ({PROC_SQL}) SELECT 'p' || CAST(doc_id AS STRING) AS proc, tbl AS target FROM p""",
+        "procedure_names": f"""WITH p AS ({PROC_SQL}) SELECT 'p' || CAST(doc_id AS STRING) AS proc, tbl AS target FROM p""",
+        "link_procedures": f"""WITH p AS ({PROC_SQL}) SELECT 'p' || CAST(doc_id AS STRING) AS source_id, tbl AS target_id, 'WRITES_TO' AS edge_type, 'stored procedure output' AS transformation, CAST(1.0 AS DOUBLE) AS confidence FROM p
+          UNION ALL SELECT tbl, tbl || '.' || unnest(['doc_id', 'lang', 'n_chars']), 'HAS_COLUMN', '', CAST(1.0 AS DOUBLE) FROM p""",
+        "changed_files": f"SELECT rel_path FROM ({FILES_SQL}) WHERE source_repo = 'src3' OR suffix(rel_path, '.SQL')",
+        "relevant_files": f"""SELECT replace(rel_path, 'src1/', 'src1\\') AS rel_path FROM ({FILES_SQL}) WHERE (prefix(rel_path, 'src1/') OR prefix(rel_path, 'src2/')) AND (regexp_matches(lower(rel_path), '\\.(sql|ddl|dml|hql|py|pyspark)$')
+          OR (suffix(lower(rel_path), '.json') AND regexp_matches(lower(rel_path), '/(pipeline|dataset|dataflow|trigger)/')))""",
         "insert_columns": f"""WITH p AS ({PROC_SQL}) SELECT doc_id, tbl || '.' || unnest(['doc_id', 'lang', 'n_chars']) AS col FROM p""",
         "sql_column_lineage": """WITH c AS (SELECT 'raw_' || CAST(c_custkey AS STRING) AS t, lower(c_mktsegment) || '_' || CAST(c_custkey AS STRING) AS v, 'nation_' || CAST(c_nationkey AS STRING) AS x, 'r/sql/c' || CAST(c_custkey AS STRING) || '.sql' AS f FROM customer)
           SELECT a[1] AS source_id, a[2] AS target_id, a[3] AS edge_type, a[4] AS transformation, CAST(1.0 AS DOUBLE) AS confidence FROM (SELECT unnest([[t, f, 'DEFINED_IN', ''], [t, t || '.id', 'HAS_COLUMN', ''], [t, t || '.amount', 'HAS_COLUMN', ''],

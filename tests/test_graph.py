@@ -166,9 +166,12 @@ def test_a_repository_end_to_end_and_its_review(spark, tmp_path):
     r = V.review(spark, str(tmp_path), repos, "HEAD~1")
     assert r.relevant == ["sql/b.sql"] and r.counts["nodes_added"] == 1 and r.counts["edges_added"] == 2
     text = V.report(r)
-    assert "v.twice" in text and text.endswith("\n") and json.dumps(r.as_dict(), default=str)
+    assert "+ v.twice (column)" in text and text.endswith("\n") and json.dumps(r.as_dict(), default=str)
+    assert len(r.as_dict(1)["edge_changes"]) == 1 and r.as_dict(1)["edge_changes_total"] == 2
+    r.write(str(tmp_path / "review"))
+    assert spark.read.json(str(tmp_path / "review/edges")).count() == 2
     nothing = V.review(spark, str(tmp_path), repos, "HEAD")
-    assert "not affected" in V.report(nothing)
+    assert "not built" in V.report(nothing)
     g = B.build(spark, [B.Repository("sql", str(tmp_path / "sql"))])
     B.write_json(g, str(tmp_path / "out"))
     assert B.read_json(spark, str(tmp_path / "out")).edges.count() == g.edges.count()
