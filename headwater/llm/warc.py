@@ -39,7 +39,7 @@ def resolve_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     Only (digest, length, id, url) is aggregated, on the map side first; the payload moves once, in the join by digest,
     whose hot digests AQE splits. Payloads shorter than min_bytes are always responses. A null payload is empty. Rows that
     repeat the smallest id of their payload are all responses. A null id is a revisit if any row of that payload has an id,
-    else a response.
+    else a response. Other columns are not read; an empty table gives no rows.
     """
     full = records.select("id", "url", F.coalesce("payload", F.lit("")).alias("payload"))
     full = full.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": payload_digest(F.col("payload"))})
@@ -61,29 +61,40 @@ def _line(name: str, value: Column) -> Column:
 
 
 def _urn(value: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), value.cast("string"), F.lit(">"))
+    """A record id in brackets: our own ids are numbers or plain names of pages, those of other writers are whole and hold a colon."""
+    text = value.cast("string")
+    return F.concat(F.lit("<"), F.when(text.contains(":"), text).otherwise(F.concat(F.lit("urn:page:"), text)), F.lit(">"))
 
 
-def write_warc(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 10_000) -> None:
-    """An archive for each partition, of records_per_file records at most. Revisits hold no payload; their HTTP header block says its length."""
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
+def record_head(fields: list[tuple[str, Column]]) -> Column:
+    return F.concat(F.lit(VERSION + CRLF), *[_line(k, v) for k, v in fields], F.lit(CRLF))
+
+
+def write_warc(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 10_000, others: DataFrame | None = None) -> None:
+    """An archive for each partition, of records_per_file records at most. Revisits hold no payload; their HTTP header block says its length.
+
+    resolved: what resolve_revisits gives. A null url has no header, a null payload is empty, a null id gets a fresh one; a null
+    payload_bytes has no length; an empty table gives no record. others (value): whole records of other types, written as they are.
+    """
+    length = F.coalesce(F.concat(F.lit(f"{CRLF}Content-Length: "), F.col("payload_bytes").cast("string")), F.lit(""))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8"), length, F.lit(CRLF * 2))
     is_revisit = F.col("record_type") == "revisit"
-    block = F.concat(http, F.when(is_revisit, "").otherwise(F.col("payload")))
-    head = F.concat(
-        F.lit(VERSION + CRLF),
-        _line("WARC-Type", F.col("record_type")),
-        _line("WARC-Record-ID", F.coalesce(_urn(F.col("id")), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))),
-        _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", F.col("url")),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        _line("WARC-Refers-To", _urn(F.col("refers_to"))),
-        _line("WARC-Refers-To-Target-URI", F.col("refers_url")),
-        _line("WARC-Profile", F.when(is_revisit, PROFILE)),
-        _line("Content-Type", F.lit("application/http; msgtype=response")),
-        _line("Content-Length", F.octet_length(block)),
-        F.lit(CRLF),
-    )
-    resolved.select(F.concat(head, block).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    block = F.concat(http, F.when(is_revisit, "").otherwise(F.coalesce("payload", F.lit(""))))
+    head = record_head([
+        ("WARC-Type", F.col("record_type")),
+        ("WARC-Record-ID", F.coalesce(_urn(F.col("id")), F.concat(F.lit("<urn:page-uuid:"), F.uuid(), F.lit(">")))),
+        ("WARC-Date", F.lit(date)),
+        ("WARC-Target-URI", F.col("url")),
+        ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
+        ("WARC-Refers-To", _urn(F.col("refers_to"))),
+        ("WARC-Refers-To-Target-URI", F.col("refers_url")),
+        ("WARC-Profile", F.when(is_revisit, PROFILE)),
+        ("Content-Type", F.lit("application/http; msgtype=response")),
+        ("Content-Length", F.octet_length(block)),
+    ])
+    records = resolved.select(F.concat(head, block).alias("value"))
+    records = records if others is None else records.unionByName(others.select("value"))
+    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 class Archive:
@@ -128,10 +139,11 @@ class Archive:
         while self.buffer or self.more():
             if not self.buffer:
                 continue
-            head = self.until(b"\r\n\r\n").decode("utf-8").split(CRLF)
+            text = self.until(b"\r\n\r\n").decode("utf-8")
+            head = text.split(CRLF)
             if not head[0].startswith("WARC/"):
                 raise ValueError(f"no record starts here: {head[0][:40]!r}")
-            fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])} | {"": text}
             block = self.take(int(fields["content-length"]))
             if self.take(4) != b"\r\n\r\n":
                 raise ValueError("a record does not end with two line ends")
@@ -139,24 +151,57 @@ class Archive:
 
 
 def _id_of(urn: str | None) -> str | None:
-    return urn[len("<urn:page:") : -1] if urn and urn.startswith("<urn:page:") else None
+    """Our own ids without their prefix (none where a page had none), others whole, without brackets."""
+    found = (urn or "").strip("<> ")
+    return found.removeprefix("urn:page:") if found and not found.startswith("urn:page-uuid:") else None
+
+
+def _sha1(data: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def _length(head: bytes) -> int | None:
+    """Content-Length of an HTTP header block, if it has one."""
+    found = [v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if k.strip().lower() == b"content-length"]
+    return int(found[0]) if found and found[0].isdigit() else None
 
 
 def parse_record(fields: dict[str, str], block: bytes) -> tuple:
-    """(id, url, payload_bytes, payload_digest, record_type, refers_to, payload, refers_url); a response whose payload does not match its digest is an error."""
-    head, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(v) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if k.lower() == b"content-length")
-    digest = fields["warc-payload-digest"].partition(":")[2]
+    """(id, url, payload_bytes, payload_digest, record_type, refers_to, payload, refers_url).
+
+    A response or revisit is an HTTP header block and a payload; a response whose payload does not match its SHA-1 digest or
+    the block's length is an error. The length of a revisit's payload is null where its block has none; a response without a
+    digest gets one. Of other types (warcinfo, request, metadata, resource …) the whole block counts as payload.
+    """
     kind = fields["warc-type"]
-    if kind == "response" and (len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-        raise ValueError(f"{fields['warc-record-id']}: the payload is not what its digest says")
-    return _id_of(fields["warc-record-id"]), fields.get("warc-target-uri"), length, digest, kind, _id_of(fields.get("warc-refers-to")), payload if kind == "response" else None, fields.get("warc-refers-to-target-uri")
+    http = kind in ("response", "revisit") and "http" in fields.get("content-type", "http")
+    head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    length = _length(head)
+    scheme, _, digest = fields.get("warc-payload-digest", "").rpartition(":")
+    if kind == "response":
+        own = _sha1(payload)
+        if scheme == "sha1" and digest != own or length is not None and length != len(payload):
+            raise ValueError(f"{fields.get('warc-record-id')}: the payload is not what its digest or length says")
+        digest, length = own, len(payload)
+    elif kind != "revisit":
+        digest, length = _sha1(payload), len(payload)
+    return _id_of(fields.get("warc-record-id")), fields.get("warc-target-uri"), length, digest or None, kind, _id_of(fields.get("warc-refers-to")), None if kind == "revisit" else payload, fields.get("warc-refers-to-target-uri")
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """(id, url, payload_bytes, payload_digest, record_type, refers_to[, payload, refers_url]) of every record; ids are strings. An archive is read by one task, record by record."""
-    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.string()] * 2 * payloads]
-    names = ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload", "refers_url"] * payloads]
+    """(id, url, payload_bytes, payload_digest, record_type, refers_to[, payload, refers_url, value]) of every record; ids are strings.
+
+    value is the whole record where it is neither response nor revisit. Payloads are texts in UTF-8; other bytes are an error
+    where payloads are asked for. An archive, gzip-compressed as a whole or by record, is read by one task, record by record; a
+    folder without archives gives no rows.
+    """
+    types = [pa.string(), pa.string(), pa.int64(), *[pa.string()] * (6 if payloads else 3)]
+    names = ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload", "refers_url", "value"] * payloads]
+
+    def texts(fields: dict[str, str], block: bytes, r: tuple) -> tuple:
+        other = r[4] not in ("response", "revisit")
+        value = "".join([fields[""], CRLF * 2, block.decode("utf-8", "surrogatepass")]) if other else None
+        return (r[6].decode("utf-8", "surrogatepass") if r[4] == "response" else None, r[7], value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -168,7 +213,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                 rows, held = [], 0
                 for fields, block in Archive(data.as_py()):
                     r = parse_record(fields, block)
-                    rows.append((*r[:6], *([r[6].decode("utf-8", "surrogatepass") if r[6] is not None else None, r[7]] * payloads)))
+                    rows.append((*r[:6], *(texts(fields, block, r) if payloads else ())))
                     held += len(block) if payloads else 100
                     if held > 1 << 23:
                         yield out(rows)
@@ -176,16 +221,23 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                 yield out(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return c.map_arrow(files, run, "id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload string, refers_url string" * payloads)
+    return c.map_arrow(files, run, "id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload string, refers_url string, value string" * payloads)
 
 
 def deduplicate_archives(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -> None:
-    """Archives of another folder, rewritten: revisits whose original is there are resolved anew by digest with the other records; others stay as they are. Ids are compared as numbers if all are whole numbers."""
+    """Archives of another folder, rewritten with fresh headers.
+
+    Revisits are joined by digest to the responses there and resolved anew with the other records; revisits whose original is
+    not there stay as they are, and records of other types too. Ids are compared as numbers if all are whole numbers. Records
+    without an id count as responses, as resolve_revisits says.
+    """
     records = read_warc(spark, source, payloads=True)
+    others = records.filter(~F.col("record_type").isin("response", "revisit"))
+    records = records.filter(F.col("record_type").isin("response", "revisit")).drop("value")
     if records.filter("id is not null and not id rlike '^(0|[1-9][0-9]{0,17})$' or refers_to is not null and not refers_to rlike '^(0|[1-9][0-9]{0,17})$'").isEmpty():
         records = records.withColumns({x: F.col(x).cast("long") for x in ("id", "refers_to")})
     held = records.filter("record_type = 'response'")
     texts = held.groupBy("payload_digest").agg(F.min("payload").alias("found"))
     whole = records.join(texts, "payload_digest", "left").withColumn("payload", F.coalesce("payload", "found"))
     resolved = resolve_revisits(whole.filter("payload is not null").select("id", "url", "payload"), min_bytes)
-    write_warc(resolved.unionByName(whole.filter("payload is null").select(*resolved.columns)), target)
+    write_warc(resolved.unionByName(whole.filter("payload is null").select(*resolved.columns)), target, others=others)

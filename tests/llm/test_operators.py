@@ -77,6 +77,37 @@ def test_warc_round_trip_and_revisits(spark, tmp_path):
     assert {r.record_type for r in again.filter(F.col("payload_bytes") < 5).collect()} == {"response"} and again.count() == len(pages)
 
 
+def foreign_archive():
+    """Records of another writer, each a gzip member of its own: a warcinfo, a request, two equal responses, one of them without lengths and digest, a revisit of another archive, a metadata record."""
+    import gzip
+
+    http = lambda body, more="": f"HTTP/1.1 200 OK\r\nServer: x{more}\r\n\r\n{body}"
+    parts = [
+        ("warcinfo", "<urn:uuid:i>", "software: x\r\n", {"Content-Type": "application/warc-fields"}),
+        ("request", "<urn:uuid:q>", "GET / HTTP/1.1\r\n\r\n", {"Content-Type": "application/http; msgtype=request"}),
+        ("response", "<urn:uuid:b>", http("héllo\r\n\r\nyou"), {"Content-Type": "application/http; msgtype=response", "WARC-Target-URI": "http://b"}),
+        ("response", "<urn:uuid:a>", http("héllo\r\n\r\nyou", "\r\nContent-Length: 13"), {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": "sha1:" + sha32("héllo\r\n\r\nyou")}),
+        ("revisit", "<urn:uuid:r>", http(""), {"WARC-Payload-Digest": "sha1:" + sha32("elsewhere"), "WARC-Refers-To": "<urn:uuid:z>"}),
+        ("metadata", "<urn:uuid:m>", "a: é", {}),
+    ]
+    out = b""
+    for kind, i, block, more in parts:
+        head = "".join(f"{k}: {v}\r\n" for k, v in {"WARC-Type": kind, "WARC-Record-ID": i, **more, "Content-Length": len(block.encode())}.items())
+        out += gzip.compress(f"WARC/1.0\r\n{head}\r\n{block}\r\n\r\n".encode())
+    return out
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.warc.gz").write_bytes(foreign_archive())
+    warc.deduplicate_archives(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    got = {r.id: r for r in warc.read_warc(spark, f"file://{tmp_path}/out", payloads=True).collect()}
+    assert {i: r.record_type for i, r in got.items()} == {"urn:uuid:i": "warcinfo", "urn:uuid:q": "request", "urn:uuid:a": "response", "urn:uuid:b": "revisit", "urn:uuid:r": "revisit", "urn:uuid:m": "metadata"}
+    assert got["urn:uuid:b"].refers_to == "urn:uuid:a" and got["urn:uuid:b"].payload_bytes == 13 == got["urn:uuid:a"].payload_bytes and got["urn:uuid:a"].payload == "héllo\r\n\r\nyou"
+    assert (got["urn:uuid:r"].refers_to, got["urn:uuid:r"].payload_bytes, got["urn:uuid:r"].payload_digest) == ("urn:uuid:z", None, sha32("elsewhere"))
+    assert got["urn:uuid:m"].value.endswith("a: é") and got["urn:uuid:i"].payload_bytes == 13
+
+
 def test_warc_of_nothing_and_damage(spark, tmp_path):
     df = spark.createDataFrame([], "id long, url string, payload string")
     warc.write_warc(warc.resolve_revisits(df), f"file://{tmp_path}/w")
