@@ -80,7 +80,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": OP1_SQL, "op2_exact_top_k": OP2_SQL}
+    return {"op1_warc_revisits": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL}
 
 
 OP2_SQL = """
@@ -107,3 +107,19 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM b JOIN f USING (payload_digest, payload_bytes)
 """
+
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Windows as lists of words, joined by equality with those of each document.
+OP3_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, {WORDS_SQL} AS w FROM documents),
+b AS MATERIALIZED (SELECT item_id, w, len(w) AS n, least(10, len(w)) AS size FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS MATERIALIZED (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, size, array_to_string(w[s:s + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, n - size + 2)) AS s FROM b)),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (SELECT k, s, size, array_to_string(w[s:s + size - 1], ' ') AS g FROM (SELECT k, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d CROSS JOIN sizes WHERE len(w) >= size)),
+found AS MATERIALIZED (SELECT DISTINCT k, s, grams.size AS size, item FROM grams JOIN windows USING (g)),
+hits AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(s, s + size)) AS p FROM found) GROUP BY k),
+items AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT k, item FROM found WHERE item IS NOT NULL) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hits USING (k) LEFT JOIN items USING (k)
+"""
