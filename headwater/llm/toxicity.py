@@ -30,8 +30,6 @@ LEXICON = (
 )
 #: Labelled rows that mining, the label model's anchor and the classifier see, at most; those with the least hash of the id.
 SAMPLE_ROWS = 50_000
-#: Mined features kept, at most: a limit of the model's size.
-MAX_FEATURES = 4000
 PREFIXES = (4, 5, 6)
 #: A mined feature stands in so many toxic documents, and the log odds less Z standard errors reach the least.
 MIN_SUPPORT, MIN_SHARE, MIN_LOG_ODDS, Z = 3, 0.004, 2.2, 1.65
@@ -58,8 +56,8 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, bound: int = S
     return {r[0]: int(r[1] > 0) for r in rows.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(bound).collect()}
 
 
-def mine(docs: DataFrame, sample: dict, max_features: int = MAX_FEATURES) -> dict[bytes, float]:
-    """Features and their log odds. docs: (id, text). What executors send is summed by feature first; what reaches the driver is bounded by max_features."""
+def mine(docs: DataFrame, sample: dict) -> dict[bytes, float]:
+    """Features and their log odds. docs: (id, text). What executors send is summed by feature first; what reaches the driver are features that a share of the sample's toxic documents hold, so at most the words of that many documents over the share."""
     if not any(sample.values()):
         return {}
     spark = docs.sparkSession
@@ -95,7 +93,7 @@ def mine(docs: DataFrame, sample: dict, max_features: int = MAX_FEATURES) -> dic
     found = seen(1, None).distinct().groupBy("f").count()
     total = (found.filter(F.length("f") == 0).first() or [b"", 0])[1]
     least = max(MIN_SUPPORT, int(MIN_SHARE * total))
-    common_ones = found.filter((F.col("count") >= least) & (F.length("f") > 0)).orderBy(F.desc("count"), "f").limit(8 * max_features)
+    common_ones = found.filter((F.col("count") >= least) & (F.length("f") > 0))
     positive = {bytes(r[0]): r[1] for r in common_ones.collect()}
     if not positive:
         return {}
@@ -103,8 +101,7 @@ def mine(docs: DataFrame, sample: dict, max_features: int = MAX_FEATURES) -> dic
     clean = negative.get(b"", 0)
     odds = {f: float(np.log((k + 0.5) / (total + 1)) - np.log((negative.get(f, 0) + 0.5) / (clean + 1))) for f, k in positive.items()}
     sure = {f: v - Z * (1 / (positive[f] + 0.5) + 1 / (negative.get(f, 0) + 0.5)) ** 0.5 for f, v in odds.items()}
-    best = sorted((f for f, v in sure.items() if v >= MIN_LOG_ODDS), key=lambda f: (-odds[f] * np.log1p(positive[f]), f))
-    return {f: odds[f] for f in best[:max_features]}
+    return {f: odds[f] for f, v in sure.items() if v >= MIN_LOG_ODDS}
 
 
 def docs_type(docs: DataFrame) -> pa.DataType:

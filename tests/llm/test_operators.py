@@ -354,6 +354,22 @@ def test_licence_places_and_expressions(docs, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licences_equal_brute_force_on_many_texts(spark):
+    """Texts of phrases, of beginnings and ends of phrases, of separators and other words."""
+    rng = random.Random(11)
+    parts = [x for p in (*licenses.BASE, *licenses.NOTICES) for x in (p, p.upper(), p.rsplit(" ", 1)[0], p.split(" ", 1)[-1])] + ["cc", "by", "General", "é", "licence", "x1"] * 8
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", ", ", "\n", "-", "."]) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, labels string, score int")
+    for r in licenses.scan_licenses(df).collect():
+        w = [x.decode() for x in common.words(texts[r.doc_id])]
+        places = {p: [k for k in range(len(w)) if w[k : k + len(p.split())] == p.split()] for p in (*licenses.BASE, *licenses.NOTICES)}
+        base = [k for p in licenses.BASE for k in places[p]]
+        labels = {x for of in (licenses.BASE, licenses.NOTICES) for p, x in of.items() if places[p]}
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(base), min(base, default=None), max(base, default=None))
+        assert r.base_labels == ",".join(sorted({x for p, x in licenses.BASE.items() if places[p]})) and r.labels == ",".join(sorted(labels))
+        assert r.score == min((licenses.OPENNESS[x] for x in labels), default=0.0)
+
+
 def test_overlapping_phrases_and_parser():
     find = licenses.automaton().iter
     assert licenses.scan_text("cc by cc by, all rights reserved all rights reserved", find)[1] == 4
