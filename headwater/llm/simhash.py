@@ -39,7 +39,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     lengths = np.fromiter(map(len, w), np.int64, len(w))
     ends = np.cumsum(lengths + 1) - 1
     starts, ends = (ends - lengths).tolist(), ends.tolist()[shingle - 1 :]
-    return majority(np.array([digest(line[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64))
+    return majority(np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, ends, strict=False)), np.uint64, len(ends)))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -155,6 +155,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links(nodes.select("fp"), radius))
     owned = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = owned.join(first, "root").select("fp", "component_id")
-    out = fps.join(of, "fp")
+    of = c.written(owned.join(c.broadcast_if_small(first, 32), "root").select("fp", "component_id"), "components")
+    out = fps.join(c.broadcast_if_small(of, 32), "fp")  # beyond that, crowded fingerprints are split by the join
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
