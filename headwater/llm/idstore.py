@@ -152,7 +152,7 @@ class Encoder:
         """Ids of what stands between two spaces, or of a part of it that is whole matches of the pattern."""
         if "<" not in piece or not any(s in piece for s in self.specials):
             low = piece.lower()
-            if piece.isascii() or (len(low) == len(piece) and PLAIN.fullmatch(piece)):
+            if len(low) == len(piece) and PLAIN.fullmatch(piece):  # other white space and controls are the library's
                 return self.word(low) if low.isalpha() else [i for w in self.findall(low) for i in self.word(w)]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
