@@ -32,7 +32,7 @@ LEXICON = (
 SAMPLE_ROWS = 50_000
 PREFIXES = (4, 5, 6)
 #: A mined feature stands in so many toxic documents, and the log odds less Z standard errors reach the least.
-MIN_SUPPORT, MIN_SHARE, MIN_LOG_ODDS, Z = 3, 0.004, 2.2, 1.65
+MIN_SUPPORT, MIN_SHARE, MIN_LOG_ODDS, Z = 3, 0.004, 2.2, 1.9
 FOLDS, HELD_OUT = 5, 0
 ABSTAIN, TOXIC, CLEAN = 0, 1, 2
 WORD_SHARDS, PREFIX_SHARDS = 3, 2
